@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenlog.llm.ann import op2
 from lumenlog.llm.common import table
 from lumenlog.llm.fingerprints import op3
 from lumenlog.llm.html_text import main_text
@@ -26,6 +27,7 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": lambda s, d: main_text(table(s, d, "pages")),
+        "op2_nearest": lambda s, d: op2(table(s, d, "embeddings")),
         "op3_fingerprints": lambda s, d: op3(table(s, d, "documents")),
         "op4_suffix_dedup": lambda s, d: op4(table(s, d, "documents")),
         "op5_sentencepiece": lambda s, d: op5(table(s, d, "documents"), PIECE_BPE),
