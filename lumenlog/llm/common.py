@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,6 +48,30 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], sche
     return df.mapInArrow(run, schema)
 
 
+def add_columns(df: DataFrame, column: str, fn: Callable[[list], dict], schema: str) -> DataFrame:
+    """All columns, then those of ``schema`` that a function of one column's values gives.
+
+    Columns go by position, so names may clash or differ by case only.
+    """
+    names, place = df.columns, df.columns.index(column)
+    inner = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(df.dtypes))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {f"c{i}": batch.column(i) for i in range(len(names))} | fn(batch.column(place).to_pylist())
+
+    new = [part.split()[0] for part in schema.split(",")]
+    return map_batches(df, run, f"{inner}, {schema}").toDF(*names, *new)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write a table to the cluster's shared folder and read it again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlog-")
+    path = f"{folder}/lumenlog-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def held_out(doc_id):
     """True where crc32 of the id as text leaves 2 on division by 4."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import map_batches
+from lumenlog.llm.common import add_columns
 
 ROUNDS = 8
 #: Used where a caller gives no key; production callers give their own secret.
@@ -210,21 +210,16 @@ class Pseudonyms:
 def pseudonymised(docs: DataFrame, key: bytes = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
     """All columns with the text pseudonymised, then pii: one count for each of KINDS."""
     maker: list[Pseudonyms] = []  # one in each worker
-    place = docs.columns.index(text_col)
-    # names may clash or differ by case only: columns go by position
-    inner = ", ".join(f"c{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
-    names = docs.columns
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def run(texts: list) -> dict:
         if not maker:
             maker.append(Pseudonyms(key))
-        done = [maker[0].scan(t) for t in batch.column(place).to_pylist()]
-        out = {f"c{i}": batch.column(i) for i in range(len(names))}
-        out[f"c{place}"] = pa.array([t for t, _ in done], pa.string())
-        out["pii"] = pa.array([[n.get(k, 0) for k in KINDS] for _, n in done], pa.list_(pa.int32()))
-        return out
+        done = [maker[0].scan(t) for t in texts]
+        return {"pseudonymised": pa.array([t for t, _ in done], pa.string()), "pii": pa.array([[n.get(k, 0) for k in KINDS] for _, n in done], pa.list_(pa.int32()))}
 
-    return map_batches(docs, run, f"{inner}, pii array<int>").toDF(*names, "pii")
+    names, place = docs.columns, docs.columns.index(text_col)
+    inner = add_columns(docs, text_col, run, "pseudonymised string, pii array<int>").toDF(*(f"c{i}" for i in range(len(names))), "new", "pii")
+    return inner.select(*("new" if i == place else f"c{i}" for i in range(len(names))), "pii").toDF(*names, "pii")
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlog.llm.common import held_out, labelled, map_batches
+from lumenlog.llm.common import add_columns, held_out, labelled, map_batches
 from lumenlog.llm.linear import fit_logistic, probability
 
 #: Labelled rows that the model is fitted on at most.
@@ -139,5 +139,11 @@ def quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
     return map_batches(src, run, f"doc_id {dict(src.dtypes)['doc_id']}, score double, predicted int")
 
 
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """All columns, then quality_score."""
+    fn = lambda texts: {"quality_score": pa.array(model.score(np.array([statistics(t) for t in texts], dtype=float)))}
+    return add_columns(docs, "text", fn, "quality_score double")
+
+
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return quality(docs, train(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -360,9 +360,10 @@ def removed(block: Block, blobs: list[bytes]) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
     """All columns, then kept (the remaining bytes), removed_from, removed_to (spans of
-    bytes), n_bytes, n_removed and n_spans."""
+    bytes), n_bytes, n_removed and n_spans. With ``whole_characters`` a character goes only
+    if all its bytes do, so what remains is UTF-8."""
     spark = docs.sparkSession
     tune(spark)
     names, kinds = docs.columns, [t for _, t in docs.dtypes]
@@ -401,6 +402,9 @@ def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
             return pa.table({})
         block = Block(rows, id_at, text_at)
         gone = removed(block, long_of(flags, "blob"))
+        if whole_characters and len(gone):
+            start = np.flatnonzero((block.data & 0xC0) != 0x80)
+            gone = np.repeat(np.logical_and.reduceat(gone, start), np.diff(np.append(start, len(gone))))
         kept, begins, stops, sizes = [], [], [], []
         at = 0
         for end in block.ends.tolist():
