@@ -33,6 +33,8 @@ LIST = 64
 DEGREE, BEAM, ENTRIES = 24, 160, 32
 COPIES, NEAR = 4, 1.15  # lists of a vector at most, and how much farther than the nearest
 LISTS, RATIO = 128, 1.6  # lists of a query at most, and the ratio that selects them
+#: Entries that a query's lists hold together at least: small tables are read whole.
+LEAST = 2_048
 #: Vectors and queries of one part of a list.
 PART = 4_096
 QUERIES_EVERY = 50
@@ -220,8 +222,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERIES_EVERY) -> DataF
     parts = np.maximum(1, -(-sizes // PART))
     queries = rows.where(F.col("vec_id") % every == 0)
     asked = settle(queries.groupBy("v").agg(F.min("vec_id").alias("q")))
-    # k + 1 classes hold k candidates besides the query's own row
-    least = (k + 1) * COPIES
+    # at least k + 1 classes: they hold k candidates besides the query's own row
+    least = max(LEAST, (k + 1) * COPIES)
 
     def ask(batch: pa.RecordBatch) -> dict:
         v = matrix(batch.column("v"))

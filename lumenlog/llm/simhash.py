@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import add_columns, map_batches, settle
@@ -63,11 +63,15 @@ def ball(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(width), r)]
 
 
+def signed(bits: int) -> Column:
+    return F.lit(bits - (1 << BITS) if bits >> (BITS - 1) else bits).cast("long")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """(a, b), a < b: the pairs of distinct fingerprints (column fp) within the radius."""
     width = BITS // segments
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(width, radius // segments)])
-    cut = lambda k: F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    masks = F.array(*[signed(m) for m in ball(width, radius // segments)])
+    cut = lambda k: F.shiftrightunsigned("fp", k * width).bitwiseAND(signed((1 << width) - 1))
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), cut(k).alias("key")) for k in range(segments)]))
     table = distinct.select("fp", parts.alias("p")).select(F.col("fp").alias("b"), "p.seg", "p.key")
     probes = table.select(F.col("b").alias("a"), "seg", "key", F.explode(masks).alias("m")).select("a", "seg", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
