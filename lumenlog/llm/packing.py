@@ -15,7 +15,6 @@ ignored.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from typing import NamedTuple
 
