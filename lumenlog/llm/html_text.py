@@ -45,7 +45,7 @@ CLOSES = {
 }
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 
-TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[/a-zA-Z][^>]*+>|<[!?/][^>]*+>?", re.S)
+TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|<[/a-zA-Z][^>]*+>|<[!?/][^>]*+>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -184,9 +184,9 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in within:
                 return
 
-    at, n = 0, len(page)
+    at, n, closed = 0, len(page), page.rfind(">")
     while at < n:
-        m = TAG.search(page, at)
+        m = TAG.search(page, at) if at <= closed or "<!" in page[at:] else None  # nothing to close a tag: text
         if m is None:
             put(page[at:])
             break
