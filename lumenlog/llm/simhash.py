@@ -14,6 +14,7 @@ stay repeated; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -112,21 +113,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, near: Callable[[DataFrame], DataFrame] | None = None, key: Callable[[str | None], int] = fingerprint) -> DataFrame:
     """The rows of a table that name their component: one row of each, all its columns.
 
-    Where rows share an id, those of one component give the row of least hashed text.
+    Components are those within the radius, or those of ``near``, whose column fp is ``key``
+    of the text. Where rows share an id, those of one component give the row of least hashed text.
     """
     names = docs.columns
     src = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own_id, own_text = (f"c{names.index(c)}" for c in ("doc_id", "text"))
-    found = settle(near_duplicates(docs, radius)).toDF("id", "of", "component")
+    found = settle(near(docs) if near else near_duplicates(docs, radius)).toDF("id", "of", "component")
     repeated = found.groupBy("id").count().where("count > 1").select(F.col("id").alias("twice"))
     naming = found.where(F.col("id").eqNullSafe(F.col("component")))
     lone = naming.join(repeated, F.col("id").eqNullSafe(F.col("twice")), "left_anti").select(F.col("id").alias("once"))
     alone = src.join(lone, F.col(own_id).eqNullSafe(F.col("once")), "left_semi")
     several = src.join(repeated, F.col(own_id).eqNullSafe(F.col("twice")), "left_semi")
-    several = add_columns(several, own_text, lambda texts: {"fp": pa.array([fingerprint(t) for t in texts], pa.int64())}, "fp long")
+    several = add_columns(several, own_text, lambda texts: {"fp": pa.array([key(t) for t in texts], pa.int64())}, "fp long")
     named = naming.distinct().join(several, F.col(own_id).eqNullSafe(F.col("id")) & (F.col("fp") == F.col("of")))
     first = Window.partitionBy("component", F.when(F.col("component").isNull(), F.col("fp"))).orderBy(F.xxhash64(own_text), "fp")
     chosen = named.withColumn("at", F.row_number().over(first)).where("at = 1").select(*src.columns)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from lumenlog.llm import ann, fingerprints, simhash, suffix_dedup
+import corpus_pipeline
+from lumenlog.llm import ann, fingerprints, minhash, simhash, suffix_dedup
 
 
 def slow_fingerprint(text):
@@ -73,6 +74,47 @@ def test_one_of_each(edge, nothing):
     assert simhash.one_of_each(nothing).count() == 0
 
 
+def test_near_copies_beyond_the_radius_go(spark):
+    rng = np.random.RandomState(2)
+    base = [f"w{i}" for i in rng.randint(0, 500, 200)]
+    edited = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(base))
+    # 1 and 3 are near 0, 2 is not; 4 is near 3 only; 5 is far from all
+    rows = [(0, " ".join(base)), (1, edited(50)), (2, edited(20, 60, 100, 140, 180)), (3, edited(30, 90)), (4, edited(30, 90, 130)), (5, "short text of its own here"), (6, edited(50).upper())]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.lower().split()]}
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    group = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if near(a, b):
+                low, high = sorted((group[a], group[b]))
+                group = {i: low if g == high else g for i, g in group.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect())
+    assert kept == sorted(set(group.values())) and {1, 3, 6}.isdisjoint(kept) and {0, 2, 5} <= set(kept)
+
+
+def test_every_near_pair_of_a_table_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r.doc_id: minhash.shingles(r.text) for r in docs.collect()}
+    found = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    holds: dict = {}
+    for i, s in own.items():
+        for h in s.tolist():
+            holds.setdefault(h, set()).add(i)
+    pairs = {(min(a, b), max(a, b)) for ids in holds.values() for a in ids for b in ids if a != b}
+    near = [(a, b) for a, b in pairs if minhash.similar(own[a].tobytes(), own[b].tobytes())]
+    assert near and all(found[a] == found[b] for a, b in near)
+
+
+def test_one_of_each_of_shared_shingles(edge, nothing):
+    near = lambda docs: simhash.one_of_each(docs, near=minhash.near_duplicates, key=minhash.key)
+    kept = near(edge)
+    found = {(r.doc_id, r.fp): r.component_id for r in minhash.near_duplicates(edge).collect()}
+    got = Counter(found[(r.doc_id, minhash.key(r.text))] for r in kept.collect())
+    assert kept.columns == edge.columns and got == dict.fromkeys(set(found.values()), 1)
+    assert near(nothing).count() == 0
+
+
 def slow_removal(rows):
     """Texts' bytes and which of them go."""
     raw = [(-(2**63) if i is None else i, (t or "").encode()) for i, t in rows]
