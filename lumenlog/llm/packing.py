@@ -15,6 +15,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from typing import NamedTuple
 
@@ -30,10 +31,13 @@ CAPACITY, END_ID = 1024, 2
 NODES, FILLINGS = 4_000, 6
 #: Every so many levels a node also completes its packing by best fit.
 TAIL = 32
+#: Characters of white space in a row that the fast core is given at most: its pattern fails on about a million.
+SPACES = 100_000
 #: Pieces that one task numbers at most, about.
 NUMBERED = 100_000
 # The byte-level pre-tokenizer's pattern, and the characters for bytes without a printable one.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_SPACE = re.compile(rf"\s{{{SPACES}}}")
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
@@ -42,7 +46,8 @@ class Encoder:
 
     The file's vocabulary is in order of its merges, so its ids are ranks; a core that
     merges by ranks gives the library's ids several times faster. Texts that hold one of
-    the file's added tokens go to the library itself.
+    the file's added tokens or very long white space go to the library itself, and so do
+    those on which the core fails.
     """
 
     def __init__(self, path: str):
@@ -58,9 +63,12 @@ class Encoder:
         self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.core.encode_to_numpy(text).astype("<u4").tobytes()
+        if not any(t in text for t in self.added) and not (len(text) > SPACES and LONG_SPACE.search(text)):
+            try:
+                return self.core.encode_to_numpy(text).astype("<u4").tobytes()
+            except ValueError:  # the pattern's engine gave up
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -112,6 +112,18 @@ def test_packing_ids_are_the_library_s(documents):
         assert np.frombuffer(encoder(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + "\n" * 1_000_000 + "b"])
+def test_packing_ids_of_very_long_white_space(text):
+    encoder = packing.Encoder(BYTE_BPE)
+    assert np.frombuffer(encoder(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_ids_where_the_core_fails(monkeypatch):
+    encoder = packing.Encoder(BYTE_BPE)
+    monkeypatch.setattr(packing, "LONG_SPACE", packing.re.compile("(?!)"))
+    assert len(encoder(" " * 1_200_000)) > 0
+
+
 def check_packing(docs, capacity=packing.CAPACITY):
     encoder = packing.Encoder(BYTE_BPE)
     rows = packing.op8(docs, BYTE_BPE).collect()
