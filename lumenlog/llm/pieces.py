@@ -4,8 +4,8 @@ The model file's protobuf is parsed here; normaliser, metaspace marker, unigram
 BPE merges and byte fallback are rebuilt as a tokenizers pipeline. No piece holds a
 marker after another character, so texts are cut before each run of markers, distinct
 segments are encoded in multithreaded batches and remembered, and a text's ids are its
-segments' ids. Every segment is compared with the sentencepiece library, and a share of
-whole texts, chosen by hashed content, too.
+segments' ids. Every segment and every whole text is compared with the sentencepiece
+library.
 
 Defined results: null text counts as empty and has no ids; null ids and repeated rows
 stay; other columns are ignored; a model with user-defined symbols or pieces across
@@ -33,8 +33,6 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
-#: One whole text of so many, by the crc32 of its bytes, is compared with sentencepiece.
-COMPARED = 16
 THREADS = 2
 
 
@@ -178,11 +176,11 @@ class Codec:
         return text[1:] if self.spec.dummy_prefix and text[:1] == " " else text
 
 
-def encoded(docs: DataFrame, model: str, compared: int = COMPARED) -> DataFrame:
+def encoded(docs: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_crc32, round_trip, parity, whole_parity) of each row.
 
     ``parity``: each segment has sentencepiece's ids. ``whole_parity``: so has the whole
-    text, null where it was not among the compared ones.
+    text.
     """
     src = docs.select("doc_id", "text")
     codec: list[Codec] = []
@@ -193,10 +191,7 @@ def encoded(docs: DataFrame, model: str, compared: int = COMPARED) -> DataFrame:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         done = codec[0].encode(texts)
         arrays = [np.frombuffer(raw, dtype="<u4") for raw, _ in done]
-        picked = [i for i, t in enumerate(texts) if zlib.crc32(t.encode()) % compared == 0]
-        whole: list[bool | None] = [None] * len(texts)
-        for i, ids in zip(picked, codec[0].peer.encode([texts[i] for i in picked], num_threads=1), strict=True):
-            whole[i] = arrays[i].tolist() == ids
+        whole = [a.tolist() == ids for a, ids in zip(arrays, codec[0].peer.encode(texts, num_threads=1), strict=True)]
         offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
         return {
             "doc_id": batch.column("doc_id"),

@@ -103,6 +103,11 @@ def test_encoded_tables(spark, documents, edge, nothing):
     assert pieces.op5(nothing, PIECE_BPE).count() == 0
 
 
+def test_every_whole_text_is_compared(documents, edge):
+    for docs in (documents, edge):
+        assert all(r.whole_parity is True for r in pieces.op5(docs, PIECE_BPE).collect())
+
+
 ODD = ["a  b", "a   b", " a", "a ", "a\n b", "a\n \nb", "a \nb", "\n a b \n", "x\t y\n", "don't we'll  9", " ", "", "<|endoftext|> x <|endoftext|>", "日本 👍🏽"]
 
 
