@@ -10,6 +10,8 @@ import sys
 from array import array
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
 #: Distinct segments that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
@@ -41,3 +43,8 @@ class Memo:
 
     def packed(self, segments: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, segments))
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i]+1, ... counts[i] of them, for each i."""
+    return np.arange(int(counts.sum())) + np.repeat(starts - np.cumsum(counts) + counts, counts)

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlog.llm.common import tune
+from lumenlog.llm.segments import spread
 
 LENGTH, KMER = 50, 24
 SIDE = LENGTH - KMER  # bytes that a window can have on a side of its anchor
@@ -190,12 +191,6 @@ def row_hash(rows: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return hash_words([*(words[:, i] for i in range(words.shape[1])), *(m.astype(np.uint64) for m in more)])
 
 
-def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i]+1, ... counts[i] of them, for each i."""
-    total = int(counts.sum())
-    return np.arange(total) + np.repeat(starts - np.cumsum(counts) + counts, counts)
-
-
 def as_runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last of each run of consecutive numbers, as 32-bit numbers."""
     windows = np.unique(windows)

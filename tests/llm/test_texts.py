@@ -1,5 +1,6 @@
 """HTML text, personal data, SentencePiece, packing."""
 
+import struct
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -95,6 +96,46 @@ def test_unigram_models_are_rebuilt():
     assert pieces.rebuild(spec).encode("ab a").tokens == ["▁a", "b", "▁a"]
 
 
+def wired(field, value):
+    """One protobuf field: numbers as varints, floats as four bytes, bytes as they are."""
+    number = lambda n: bytes([n]) if n < 128 else bytes([n & 127 | 128]) + number(n >> 7)
+    if isinstance(value, float):
+        return number(field << 3 | 5) + struct.pack("<f", value)
+    return number(field << 3) + number(value) if isinstance(value, int) else number(field << 3 | 2) + number(len(value)) + value
+
+
+@pytest.fixture(scope="module", params=[True, False])
+def unigram(request, tmp_path_factory):
+    """A model file written by hand: unigram scores, with and without byte fallback."""
+    rng = np.random.RandomState(3)
+    plain = {"▁", *(f"{a}{b}{c}" for a in ("", "▁") for b in "abcdehilnort" for c in ("", *"aeiourst")), "▁the", "▁and", "ing", "é", "日本", "▁▁", "▁▁▁", "."}
+    table = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if request.param else [])
+    table += [(p, float(-2 - 9 * rng.rand()), 1) for p in sorted(plain)]
+    raw = b"".join(wired(1, wired(1, p.encode()) + wired(2, s) + wired(3, k)) for p, s, k in table)
+    raw += wired(2, wired(3, 1) + wired(35, int(request.param)) + wired(40, 0)) + wired(3, wired(1, b"identity") + wired(3, 1) + wired(4, 0) + wired(5, 1))
+    path = tmp_path_factory.mktemp("models") / f"unigram{request.param}.model"
+    path.write_bytes(raw)
+    return str(path)
+
+
+def test_unigram_ids_are_sentencepiece_s(unigram, documents):
+    codec = pieces.Codec(unigram)
+    assert codec.spec.kind == pieces.UNIGRAM and codec.cut
+    texts = ["the rain and the sea", "a  b   c", " lead", "trail ", "日本 xyz é", "\n", "zzzz qqqq", "the   ", *(r.text or "" for r in documents.limit(40).collect())]
+    for (raw, same), text in zip(codec.encode(texts), texts, strict=True):
+        assert same and np.frombuffer(raw, "<u4").tolist() == codec.peer.encode(text)
+        if codec.spec.byte_fallback:
+            assert codec.decode(np.frombuffer(raw, "<u4")) == text
+
+
+def test_differing_ids_are_reported():
+    codec = pieces.Codec(PIECE_BPE)
+    ids, at = codec.ids(["one two", "three"])
+    assert codec.agrees(["one two", "three"], ids, at) == [True, True] and codec.returns(["one two", "three"], ids, at) == [True, True]
+    ids[0] += 1
+    assert codec.agrees(["one two", "three"], ids, at) == [False, True] and codec.returns(["one two", "three"], ids, at) == [False, True]
+
+
 def test_encoded_tables(spark, documents, edge, nothing):
     rows = pieces.op5(documents, PIECE_BPE).collect()
     assert len(rows) == documents.count() and all(r.round_trip and r.parity and r.whole_parity is not False and r.n_tokens == len(r.ids) for r in rows)
