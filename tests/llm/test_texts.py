@@ -1,6 +1,7 @@
 """HTML text, personal data, SentencePiece, packing."""
 
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -24,6 +25,16 @@ from lumenlog.llm.queries import BYTE_BPE, PIECE_BPE
         ("<div class=cookie-notice>We use cookies</div><div id=content><p>text</p></div>", "text"),
         ("<article><p>unclosed <b>bold<p>next &lt;tag&gt; &#8364;", "unclosed bold\n\nnext <tag> €"),
         ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one\n\ntwo\n\nx\n\ny"),
+        ("<main><p>We ask how.</p><section id='discussion'><h2>Discussion</h2><p>Our results hold in all cases.</p></section></main>", "We ask how.\n\nDiscussion\n\nOur results hold in all cases."),
+        ("<main><section id='related-work'><h2>Related work</h2><p>Others asked this before.</p></section><div class='share-price'><p>It rose by four.</p></div></main>", "Related work\n\nOthers asked this before.\n\nIt rose by four."),
+        ("<article><p>The <nobr>new rule</nobr> starts in <output>May</output>, <my-tag>they say</my-tag>.</p></article>", "The new rule starts in May, they say."),
+        ("<article><p>See chart <svg><g><text>42 percent</text></g></svg> below.</p></article>", "See chart below."),
+        ("<article><p>x <noscript><div>Enable JS</div></noscript> y</p></article>", "x y"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>", "so x=2 holds"),
+        ("<article><p>a<svg><path d='x'/><p>b</p></article>", "a\n\nb"),
+        ("<article><p>A <button>Buy <div>now</div></button> B</p></article>", "A B"),
+        ("<article><p>long enough to be text of its own</p><p>The end.</p></article><ul><li><a href=x>More</a><li><a href=y>Other</a></ul>", "long enough to be text of its own\n\nThe end."),
+        ("<div class='site-header'>Brand</div><article><header><h1>T</h1></header><p>body text</p></article><div id='comments-area'><p>I like this</p></div>", "T\n\nbody text"),
     ],
 )
 def test_main_text(page, text):
@@ -35,6 +46,39 @@ def test_tree_fits_its_table():
     assert all(html_text.decide(model, row[:-1]) == row[-1] for row in html_text.LABELLED)
 
 
+HAND_MARKED = """
+-|<body><div id=top class=masthead>Daily <a href=/>Home</a></div>
+-|<ul class=menu><li><a href=1>World</a><li><a href=2>Sport</a></ul>
+-|<div class="cookie-banner">We use cookies to serve you. <button>OK</button></div>
++|<div class=story><h1>Bridge opens after repairs</h1>
++|<p>The old bridge over the river opened again on Monday, the city said.</p>
++|<p>It had been shut for two years, see <a href=3>our first report</a> on the cost.</p>
++|<h2>Alerts and delays</h2>
++|<p>Drivers should expect delays until the weekend while lamps are fitted.</p>
++|<blockquote>We are glad that it is done.</blockquote>
++|<p>The end.</p></div>
+-|<div class=related-posts><h3>Related</h3><a href=4>Ferry stops</a> <a href=5>Road tax</a></div>
+-|<div id=comments><p>About time that this was done, well done to all!</p></div>
+-|<form><p>Your mail <input name=mail></p></form>
+-|<div class=footer>All rights reserved <a href=6>Imprint</a></div></body>
+"""
+
+
+def test_hand_marked_page():
+    lines = [x.split("|", 1) for x in HAND_MARKED.strip().split("\n")]
+    text = lambda x: " ".join(html_text.re.sub("<[^>]*>", "", x).split())
+    assert html_text.extract("\n".join(x for _, x in lines)) == "\n\n".join(text(x) for mark, x in lines if mark == "+")
+
+
+@pytest.mark.parametrize("page", ["<div>{0}x{1}", "<div>{0}", "<p>{0}", "<ul><li><ul>{0}{1}"])
+def test_odd_pages_take_time_in_proportion(page):
+    n = 100_000
+    for a, b in (("<div>", "</span>"), ("<b>", "</b>"), ("<a><div>", "</a>"), ("<svg><g>", "<p>"), ("<b>", "<li></li>")):
+        started = time.process_time()
+        assert isinstance(html_text.extract(page.format(a * n, b * n)), str)
+        assert time.process_time() - started < 30
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "u", "<article><p>hi</article>", 5), (None, None, None, 5), (1, "u", "<article><p>hi</article>", 5)], "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html_text.main_text(rows).collect()), key=repr) == [(1, "u", "hi", 2), (1, "u", "hi", 2), (None, None, "", 0)]
