@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,15 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the cluster's shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlog-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset
+    and driver and executors are one process (tests, a laptop)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or tempfile.mkdtemp(prefix="lumenlog-")
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow with a function from one batch to a dict of columns (None: nothing)."""
     tune(df.sparkSession)
@@ -66,8 +75,7 @@ def add_columns(df: DataFrame, column: str, fn: Callable[[list], dict], schema:
 def store(df: DataFrame) -> DataFrame:
     """Write a table to the cluster's shared folder and read it again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlog-")
-    path = f"{folder}/lumenlog-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lumenlog-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -78,14 +86,28 @@ def held_out(doc_id):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, y): at most ``limit`` labelled rows that are not held out.
+    """(doc_id, text, y): one row for each of at most ``limit`` labelled ids not held out.
 
-    The rows are those of smallest hashed id, so the sample does not depend on the
-    order or the partitioning of the tables; its bound makes the broadcast safe.
+    The ids are those of smallest hash, so the sample does not depend on the order or the
+    partitioning of the tables; its bound makes the broadcast safe. An id that documents
+    hold several times gives its least text.
     """
     y = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(y), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+
+
+def within_bytes(rows: DataFrame, limit: int) -> DataFrame:
+    """Those of a bounded number of (doc_id, text) rows, in the order of hashed ids, whose
+    texts together hold at most so many bytes; a text that does not fit is passed over."""
+    rows, left, chosen = settle(rows), limit, []
+    for r in rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left:
+            left -= r.n
+            chosen.append((r.doc_id,))
+    kind = dict(rows.dtypes)["doc_id"]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(chosen, f"doc_id {kind}")), "doc_id")

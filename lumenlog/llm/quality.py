@@ -37,7 +37,7 @@ def statistics(text: str | None) -> list[float]:
     text = text or ""
     words = text.split()
     n, chars = len(words), max(1, len(text))
-    letters = max(1, sum(map(str.isalpha, text))) if chars < 64 else max(1, chars - text.count(" ") - text.count("\n"))
+    marks = max(1, chars - text.count(" ") - text.count("\n"))
     raw = text.encode("utf-8", "replace")
     upper = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     m = max(1, n)
@@ -48,7 +48,7 @@ def statistics(text: str | None) -> list[float]:
     logit = lambda p: np.log((p + 0.002) / (1.002 - min(p, 1.0)))
     return [
         np.log1p(n),
-        logit(upper / letters),
+        logit(upper / marks),
         logit(min(1.0, text.count("!") / m)),
         logit(min(1.0, (len(raw) - len(raw.translate(None, SYMBOLS))) / m)),
         logit(min(1.0, text.count("|") / m)),
