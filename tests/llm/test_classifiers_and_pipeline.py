@@ -45,16 +45,63 @@ def test_odd_tables(spark, edge, nothing, documents, labels, op, label):
     assert len(rows) == edge.count() and not any(r.held_out for r in rows if r.doc_id is None)
 
 
-def test_labels_of_held_out_rows_teach_nothing(documents, labels):
+@pytest.mark.parametrize(("op", "label"), [(quality.op10, "quality"), (toxicity.op9, "toxic")])
+def test_labels_of_held_out_rows_teach_nothing(documents, labels, op, label):
     from pyspark.sql import functions as F
 
     from lumenlog.llm.common import held_out
 
-    other = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    score = lambda x: dict(quality.op10(documents, x).select("doc_id", "score").collect())
+    other = labels.withColumn(label, F.when(held_out(F.col("doc_id")), 1 - F.col(label)).otherwise(F.col(label)))
+    score = lambda x: dict(op(documents, x).select("doc_id", "score").collect())
     assert score(labels) == score(other)
 
 
+def test_toxic_dictionaries_hold_what_toxic_text_repeats():
+    rng = np.random.RandomState(0)
+    word = lambda: "".join(rng.choice(list("aeioulmnrst"), rng.randint(3, 8)))
+    ordinary = [" ".join(word() for _ in range(60)) for _ in range(150)]
+    toxic = [" ".join([word() for _ in range(50)] + ["xo"] * 3 + ["grobbix", "k7_zz"] * 2) for _ in range(150)]
+    model = toxicity.fit(ordinary + toxic, [0] * 150 + [1] * 150)
+    assert all(o[:4] == t[:4] == b"\x37\xa4\x30\xec" for _, o, t in model.pairs)  # zstandard's own dictionaries
+    scores = toxicity.Scorer(model).scores([" ".join([word() for _ in range(40)] + extra) for extra in ([], ["grobbix", "k7_zz", "grobbix"])])
+    assert scores[0] < 0.5 < scores[1]
+    assert toxicity.Scorer(model).scores([None, "", "x" * 200_000]).shape == (3,)
+
+
+def test_fit_is_bounded_by_rows_and_bytes(spark):
+    from lumenlog.llm.common import labelled, within_bytes
+
+    docs = spark.createDataFrame([(i % 40, "t" * (1 + i % 40)) for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, toxic int")
+    rows = labelled(docs, marks, "toxic", 7)
+    assert rows.count() == 7 and rows.select("doc_id").distinct().count() == 7
+    few = within_bytes(rows, 60).collect()
+    assert 0 < sum(len(r.text) for r in few) <= 60
+
+
+def test_statistics_have_one_formula_for_all_lengths():
+    texts = ["AB " + "1" * n + "c" for n in (58, 59, 60, 61, 62)]
+    upper = [quality.statistics(t)[quality.NAMES.index("upper")] for t in texts]
+    assert np.allclose(np.diff(upper), np.diff(upper)[0], atol=0.01)
+
+
+def test_discriminant_equals_plain_densities():
+    rng = np.random.RandomState(1)
+    y = (rng.rand(300) < 0.4).astype(int)
+    x = rng.randn(300, 4) * [1, 2, 3, 0.5] + y[:, None] * [1, 0, 2, 0.3]
+    model = quality.fit(x, y)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    pooled = sum(np.cov(z[y == c].T, bias=True) * (y == c).sum() for c in (0, 1)) / 300
+
+    def density(c):
+        own = 0.8 * np.cov(z[y == c].T, bias=True) + 0.2 * pooled
+        own = 0.95 * own + 0.05 * np.trace(own) / 4 * np.eye(4)
+        d = z - z[y == c].mean(0)
+        return -0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(own), d) - 0.5 * np.linalg.slogdet(own)[1] + np.log((y == c).mean())
+
+    assert np.allclose(model.log_odds(x), density(1) - density(0))
+
+
 def test_stages(spark, documents, labels):
     sf = "/root/testdata/sf0.001"
     names = [n for n, _ in corpus_pipeline.STAGES]
