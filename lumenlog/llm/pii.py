@@ -32,19 +32,27 @@ ROUNDS = 8
 DEFAULT_KEY = b"lumenlog-example-key"
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date")
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
-MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-MONTH = "|".join(MONTHS)
+# Month names in English, German, French and Spanish; country calling codes of
+# one and two digits (all others have three).
+MONTHS = (
+    ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"),
+    ("januar", "februar", "märz", "april", "mai", "juni", "juli", "august", "september", "oktober", "november", "dezember"),
+    ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre"),
+    ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),
+)
+CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+MONTH = "|".join(sorted({w for m in MONTHS for n in m for w in (n, n.capitalize(), n.upper())}, key=lambda n: (-len(n), n)))
 
 HINT = re.compile(r"[0-9@]")
 PATTERN = re.compile(
     rf"""
-    (?P<email>(?<![\w.+%-])\w[\w.+%'-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
+    (?P<email>(?<![\w.+%-])\w[\w.+%'-]{{0,63}}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{{0,61}}[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
   | (?P<iban>(?<!\w)[A-Z]{{2}}[0-9]{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
-  | (?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{1,4}}(?![\w:]))
+  | (?P<ip6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{1,4}}|(?=[A-Fa-f:]{{0,32}}[0-9])(?:[0-9A-Fa-f]{{1,4}}:){{1,7}}:)(?![\w:]))
   | (?P<ip>(?<![\w.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?!\w|\.[0-9]))
   | (?P<ymd>(?<![\w/.-])[0-9]{{4}}(?P<s1>[-/.])[0-9]{{1,2}}(?P=s1)[0-9]{{1,2}}(?![\w/-]|\.[0-9]))
   | (?P<dmy>(?<![\w/.-])[0-9]{{1,2}}(?P<s2>[-/.])[0-9]{{1,2}}(?P=s2)[0-9]{{4}}(?![\w/-]|\.[0-9]))
-  | (?P<named>(?<!\w)(?:[0-9]{{1,2}}[ ](?:{MONTH})[ ][0-9]{{4}}|(?:{MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}})(?!\w))
+  | (?P<named>(?<!\w)(?:[0-9]{{1,2}}\.?[ ](?:de[ ])?(?:{MONTH})[ ](?:de[ ])?[0-9]{{4}}|(?:{MONTH})[ ][0-9]{{1,2}},[ ][0-9]{{4}})(?!\w))
   | (?P<ssn>(?<![\w-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?![\w-]))
   | (?P<card>(?<![\w+.-])[0-9](?:[ -]?[0-9]){{12,18}}(?!\w|-[0-9]))
   | (?P<phone>(?<![\w+.-])(?:\+[0-9]{{1,3}}[ .-]?)?(?:\([0-9]{{2,4}}\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3,4}}[ .-][0-9]{{4}}(?!\w|-[0-9]))
@@ -130,7 +138,9 @@ class Pseudonyms:
         plain = re.sub(r"[^0-9]", "", value)
         if kind == "email":
             local, _, domain = value.rpartition("@")
-            return "email", f"{self.text(local, 'email|' + domain.lower())}@{domain}"
+            low = local.lower()  # one mailbox, however it is written
+            new = self.text(low if len(low) == len(local) else local, "email|" + domain.lower())
+            return "email", "".join(b.upper() if a.isupper() and len(b.upper()) == 1 else b for a, b in zip(local, new)) + "@" + domain
         if kind == "iban":
             bare = value.replace(" ", "")
             if not 15 <= len(bare) <= 34 or mod97(bare) != 1:
@@ -160,12 +170,16 @@ class Pseudonyms:
             parts = parts if kind == "ymd" else (parts[2], parts[1], parts[0]) if day_first else (parts[1], parts[2], parts[0])
             return "date", sep.join(parts)
         if kind == "named":
-            month = next(m for m in MONTHS if m in value)
+            word = re.search(MONTH, value)[0]
+            names = next(m for m in MONTHS if word.lower() in m)
             day, year = re.findall(r"[0-9]+", value)
-            new = self.day(int(year), MONTHS.index(month) + 1, int(day))
+            new = self.day(int(year), names.index(word.lower()) + 1, int(day))
             if new is None:
                 return None
-            return "date", f"{MONTHS[new.month - 1]} {new.day}, {new.year}" if value.startswith(month) else f"{new.day} {MONTHS[new.month - 1]} {new.year}"
+            name = names[new.month - 1]
+            name = name.upper() if word.isupper() else name.capitalize() if word[0].isupper() else name
+            put = lambda m: name if m[0] == word else f"{new.year:04d}" if len(m[0]) == 4 else str(new.day)
+            return "date", re.sub(f"[0-9]+|{word}", put, value)
         if kind == "ssn":
             area, group, serial = int(plain[:3]), int(plain[3:5]), int(plain[5:])
             if area in (0, 666) or area > 899 or not group or not serial:
@@ -180,12 +194,23 @@ class Pseudonyms:
             n = len(plain) - 2
             new = f"{plain[0]}{self.permute(int(plain[1:-1]), 10**n, f'card|{plain[0]}'):0{n}d}"
             return "card", self.digits(value, f"{new}{-luhn(new + '0') % 10}")
-        code = re.match(r"\+([0-9]{1,3}?)(?=[ .(-])|", value)[1] or ""
         if not 7 <= len(plain) <= 15:
             return None
+        # the country's code, found from the digits alone: spellings of a number stay linked
+        code = next((plain[:n] for n in (1, 2) if plain[:n] in CODES), plain[:3]) if value[0] == "+" else ""
         n = len(plain) - len(code)
         return "phone", self.digits(value, f"{code}{self.permute(int(plain[len(code) :]), 10**n, f'phone|{code}'):0{n}d}")
 
+    def shorter(self, kind: str, value: str) -> tuple[str, tuple[str, str] | None]:
+        """The longest valid beginning of an invalid card or account number that ends before
+        a separator, as other numbers or words may stand next to one."""
+        cuts = [m.start() for m in re.finditer("[ -]", value)] if kind in ("card", "iban") else []
+        for cut in reversed(cuts):
+            part = value[:cut]
+            if (kind == "iban" or sum(map(str.isdigit, part)) >= 13) and (new := self.replace(kind, part)):
+                return part, new
+        return value, None
+
     def scan(self, text: str | None) -> tuple[str | None, Counter]:
         """The text with pseudonyms, and how many of each kind."""
         found: Counter = Counter()
@@ -193,7 +218,10 @@ class Pseudonyms:
             return text, found
         at, out = 0, []
         while m := PATTERN.search(text, at):
-            new = self.replace(m.lastgroup if m.lastgroup not in ("s1", "s2") else ("ymd" if m["ymd"] else "dmy"), m[0])
+            kind, value = m.lastgroup if m.lastgroup not in ("s1", "s2") else ("ymd" if m["ymd"] else "dmy"), m[0]
+            new = self.replace(kind, value)
+            if new is None:
+                value, new = self.shorter(kind, value)
             if new is None:  # its tail may still be something valid
                 step = TOKEN.match(text, m.start()).end()
                 out.append(text[at:step])
@@ -202,7 +230,7 @@ class Pseudonyms:
             found[new[0]] += 1
             out.append(text[at : m.start()])
             out.append(new[1])
-            at = m.end()
+            at = m.start() + len(value)
         out.append(text[at:])
         return "".join(out), found
 
