@@ -5,7 +5,8 @@ of near neighbours that a best-first beam searches, for vectors and queries alik
 vector goes to the list of its nearest centroid and, if it lies near a boundary, to
 others almost as near in directions not yet covered. A query reads the lists whose
 centroids are within a ratio of the distance of the nearest, and more until those must
-hold enough vectors. Equal vectors share one entry that names their smallest ids; lists
+hold k vectors besides its own: few lists where vectors form clusters, LISTS of them where
+they lie at random. Equal vectors share one entry that names their smallest ids; lists
 are read in parts of bounded size; cosines are computed in double precision.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null
@@ -26,15 +27,13 @@ from pyspark.sql import functions as F
 from lumenlog.llm.common import map_batches, settle, tune
 
 K = 5
-#: Vectors that the centroids are fitted on at most, and centroids at most.
-SAMPLE, CENTROIDS = 65_536, 8_192
-#: Sampled vectors for a centroid, about, of a table of the sample's size.
-LIST = 64
-DEGREE, BEAM, ENTRIES = 24, 160, 32
+#: Vectors that the centroids are fitted on at most, and sampled vectors for a centroid.
+#: A table of over SAMPLE vectors has SAMPLE / LIST centroids, and longer lists.
+SAMPLE, LIST = 262_144, 32
+DEGREE, BEAM, ENTRIES = 24, 192, 32
 COPIES, NEAR = 4, 1.15  # lists of a vector at most, and how much farther than the nearest
-LISTS, RATIO = 128, 1.6  # lists of a query at most, and the ratio that selects them
-#: Entries that a query's lists hold together at least: small tables are read whole.
-LEAST = 2_048
+#: The ratio of distances that selects a query's lists, and lists of a query at most.
+RATIO, LISTS = 1.6, 160
 #: Vectors and queries of one part of a list.
 PART = 4_096
 QUERIES_EVERY = 50
@@ -48,7 +47,14 @@ class Index(NamedTuple):
     entries: np.ndarray
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, times powers of two that keep their squares finite."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
@@ -72,11 +78,10 @@ def halve(x: np.ndarray, leaf: int) -> list[np.ndarray]:
     return done
 
 
-def build(sample: np.ndarray, most: int = CENTROIDS, size: int = LIST) -> Index:
+def build(sample: np.ndarray, size: int = LIST) -> Index:
     """Centroids of unit vectors and, for each, edges to near centroids and a few far ones."""
-    x = unit(sample.astype(np.float64)).astype(np.float32)
-    leaf = max(1, min(size, len(x)), -(-len(x) // most))
-    c = unit(np.array([x[g].mean(0) for g in halve(x, leaf)], dtype=np.float64)).astype(np.float32)
+    x = unit(sample).astype(np.float32)
+    c = unit(np.array([x[g].mean(0) for g in halve(x, max(1, min(size, len(x))))])).astype(np.float32)
     n, degree = len(c), min(DEGREE, len(c) - 1)
     graph = np.zeros((n, degree + min(4, n)), np.int32)
     rng = np.random.RandomState(0)
@@ -93,7 +98,8 @@ def search(index: Index, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, n
     """(centroids, cosines) of the nearest found for each row of unit vectors, nearest first.
 
     Best-first search of the graph for many rows at once: each round expands the nearest
-    unexpanded members of every row's beam, until all beams are expanded.
+    unexpanded members of every row's beam, until all beams are expanded. A graph of at most
+    two beams is looked at whole, with the same result or a better one.
     """
     c, n = index.centroids, len(index.centroids)
     beam = min(beam, n)
@@ -173,20 +179,26 @@ def lists_for(index: Index, x: np.ndarray, sizes: np.ndarray, least: int) -> lis
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of equal length as a float32 matrix."""
+    """Rows of equal length as a matrix of their own precision."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    q, v = q.astype(np.float64), v.astype(np.float64)
+    q, v = scaled(q), scaled(v)
     return (q @ v.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None])
 
 
+def kind_of(vectors: DataFrame) -> str:
+    """Floats stay floats; anything else is compared as doubles."""
+    kind = dict(vectors.dtypes)["embedding"]
+    return kind if kind == "array<float>" else "array<double>"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): rows that take part."""
-    v = F.col("embedding").cast("array<float>")
+    v = F.col("embedding").cast(kind_of(vectors))
     fine = F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select("vec_id", "embedding").where(F.coalesce(fine, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").head()
@@ -197,7 +209,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERIES_EVERY) -> DataF
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id the
     number divides, among all other rows."""
     tune(vectors.sparkSession)
-    rows = usable(vectors)
+    rows, kind = usable(vectors), kind_of(vectors)
     # equal vectors: one class, its id the least one; only its k + 1 least ids can be results
     first = Window.partitionBy("v").orderBy("vec_id")
     few = rows.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
@@ -211,28 +223,28 @@ def nearest(vectors: DataFrame, k: int = K, every: int = QUERIES_EVERY) -> DataF
 
     def post(batch: pa.RecordBatch) -> dict:
         v = matrix(batch.column("v"))
-        lists = lists_of(index, unit(v.astype(np.float64)).astype(np.float32))
+        lists = lists_of(index, unit(v).astype(np.float32))
         row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
         return {"list": pa.array([k for x in lists for k in x], pa.int32()), "cls": batch.column("cls").take(row), "v": batch.column("v").take(row)}
 
-    postings = settle(map_batches(classes.select("cls", "v"), post, "list int, cls long, v array<float>"))
+    postings = settle(map_batches(classes.select("cls", "v"), post, f"list int, cls long, v {kind}"))
     sizes = np.zeros(len(index.centroids), np.int64)
-    for r in postings.groupBy("list").count().collect():  # one row for each centroid, CENTROIDS at most
+    for r in postings.groupBy("list").count().collect():  # one row for each centroid
         sizes[r["list"]] = r["count"]
     parts = np.maximum(1, -(-sizes // PART))
     queries = rows.where(F.col("vec_id") % every == 0)
     asked = settle(queries.groupBy("v").agg(F.min("vec_id").alias("q")))
     # at least k + 1 classes: they hold k candidates besides the query's own row
-    least = max(LEAST, (k + 1) * COPIES)
+    least = (k + 1) * COPIES
 
     def ask(batch: pa.RecordBatch) -> dict:
         v = matrix(batch.column("v"))
-        lists = lists_for(index, unit(v.astype(np.float64)).astype(np.float32), sizes, least)
+        lists = lists_for(index, unit(v).astype(np.float32), sizes, least)
         each = [(i, k, p) for i, x in enumerate(lists) for k in x for p in range(parts[k])]
         row = pa.array([i for i, _, _ in each], pa.int64())
         return {"list": pa.array([k for _, k, _ in each], pa.int32()), "part": pa.array([p for _, _, p in each], pa.int32()), "q": batch.column("q").take(row), "qv": batch.column("v").take(row)}
 
-    wanted = settle(map_batches(asked.select("q", "v"), ask, "list int, part int, q long, qv array<float>"))
+    wanted = settle(map_batches(asked.select("q", "v"), ask, f"list int, part int, q long, qv {kind}"))
     blocks = np.ones(len(index.centroids), np.int64)
     for r in wanted.where("part = 0").groupBy("list").count().collect():
         blocks[r["list"]] = -(-r["count"] // PART)

@@ -1,6 +1,7 @@
 """Fingerprints, SimHash components, suffix dedup, nearest neighbours, against brute force."""
 
 import hashlib
+import re
 from collections import Counter
 
 import numpy as np
@@ -259,3 +260,54 @@ def test_recall_with_graph_and_parts(spark, monkeypatch):
     rows = [(i, (centers[i % 30] + 0.4 * rng.randn(16)).tolist()) for i in range(3000)]
     got, want = as_lists(ann.op2(vectors(spark, rows))), slow_nearest(rows)
     assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 5 for q in want]) >= 0.9
+
+
+@pytest.mark.parametrize(("spread", "most"), [(0.35, 0.05), (3.0, 0.5)])
+def test_recall_and_share_read_at_default_settings(spread, most):
+    rng = np.random.RandomState(0)
+    n = 50_000
+    x = ann.unit(rng.randn(1000, 64)[np.arange(n) % 1000] + spread * rng.randn(n, 64))
+    f = x.astype(np.float32)
+    index = ann.build(f)
+    lists: list[list[int]] = [[] for _ in index.centroids]
+    for lo in range(0, n, 1000):
+        for i, own in enumerate(ann.lists_of(index, f[lo : lo + 1000]), lo):
+            for k in own:
+                lists[k].append(i)
+    asked = rng.permutation(n)[:200]
+    found = read = 0
+    for i, own in zip(asked, ann.lists_for(index, f[asked], np.array([len(p) for p in lists]), 24)):
+        score = x @ x[i]
+        score[i] = -9
+        held = set().union(*(lists[k] for k in own))
+        found, read = found + len(held & set(np.argsort(-score)[:5].tolist())), read + len(held)
+    assert found / 1000 >= 0.9 and read / 200 / n < most
+
+
+def test_double_vectors_keep_their_precision(spark):
+    rng = np.random.RandomState(3)
+    rows = [(i, (rng.randn(6) * 10.0 ** rng.choice([-200, 0, 250])).tolist()) for i in range(120)]
+    got = as_lists(ann.op2(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    for q in (0, 50, 100):
+        v = {i: np.array(w) / np.abs(w).max() for i, w in rows}
+        score = {i: float(v[q] @ w / np.linalg.norm(v[q]) / np.linalg.norm(w)) for i, w in v.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [i for i, _ in got[q]] == want and np.allclose([s for _, s in got[q]], [score[i] for i in want], atol=1e-14, rtol=0)
+
+
+def slow_print(text):
+    """The 128 bits by single votes of hashed words and pairs of words."""
+    words = re.split("[ \t\n\x0b\f\r]+", text.lower())
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    seeded = lambda h: xxhash.xxh64_intdigest((1).to_bytes(4, "little"), h)
+    terms = [(xxhash.xxh64_intdigest(w, 42), min(len(w), 12)) for w in words]
+    terms += [(xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)), 6) for a, b in zip(words, words[1:]) if b]
+    total = sum(n for _, n in terms)
+    return tuple(signed(sum((2 * sum(n for h, n in terms if of(h) >> i & 1) > total) << i for i in range(64))) for of in (lambda h: h, seeded))
+
+
+def test_fingerprint_bits_equal_single_votes(documents):
+    rows = documents.limit(25).cache()
+    texts = {r.doc_id: r.text or "" for r in rows.collect()} | {-1: "", -2: "one", -3: " a  b\tc ", -4: "x " * 300}
+    got = {r.doc_id: (r.f1, r.f2) for r in fingerprints.votes(rows.sparkSession.createDataFrame(list(texts.items()), "doc_id long, text string"), ["doc_id"], "text").collect()}
+    assert got == {i: slow_print(t) for i, t in texts.items()}
