@@ -23,8 +23,8 @@ content instead, so that no bucket grows with them; steps 4 and 5 are the same.
 
 Defined results: null text counts as empty; a null id is smaller than all others; rows of
 equal id never remove from each other; repeated rows stay rows; texts shorter than LENGTH
-bytes lose nothing; other columns pass through, whatever their names; an empty table
-gives no rows.
+bytes lose nothing; a text of any length that a column can hold is judged whole; other
+columns pass through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -114,6 +114,19 @@ class Block:
         return first, last, anchor, h >> np.uint64(16), np.searchsorted(self.ends, first, side="right")
 
 
+def dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs and the places where it does."""
+    order = np.argsort(bucket, kind="stable")
+    begin = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for lo, hi in zip(begin, np.append(begin[1:], len(order))):
+        yield int(bucket[order[lo]]), order[lo:hi]
+
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Places as 32-bit numbers, as 64-bit ones where a block is too long for that."""
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+
+
 def known_anchors(block: Block, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, hashes and how many ids of the block hold each)."""
     _, _, _, h, doc = block.runs()
@@ -127,14 +140,9 @@ def known_anchors(block: Block, buckets: int) -> Iterator[tuple[int, bytes]]:
     start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     held = np.diff(np.append(start, len(h)))
     h = h[start]
-    bucket = (h % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in range(buckets):
-        part = order[cut[b] : cut[b + 1]]
-        if len(part):
-            several = np.flatnonzero(held[part] > 1)
-            yield b, pickle.dumps((np.ascontiguousarray(h[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), several.astype(np.uint32), held[part][several].astype(np.uint32)), 5)
+    for b, part in dealt((h % np.uint64(buckets)).astype(np.int64)):
+        several = np.flatnonzero(held[part] > 1)
+        yield b, pickle.dumps((np.ascontiguousarray(h[part].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), several.astype(np.uint32), held[part][several].astype(np.uint32)), 5)
 
 
 def six_bytes(raw: bytes) -> np.ndarray:
@@ -192,12 +200,12 @@ def row_hash(rows: np.ndarray, *more: np.ndarray) -> np.ndarray:
 
 
 def as_runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last of each run of consecutive numbers, as 32-bit numbers."""
+    """First and last of each run of consecutive numbers."""
     windows = np.unique(windows)
     if not len(windows):
         return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     new = np.flatnonzero(np.diff(windows, prepend=windows[0] - 2) != 1)
-    return windows[new].astype(np.uint32), windows[np.append(new[1:], len(windows)) - 1].astype(np.uint32)
+    return narrow(windows[new]), narrow(windows[np.append(new[1:], len(windows)) - 1])
 
 
 def fragments(block: Block, replies: list[bytes], buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -230,12 +238,9 @@ def fragments(block: Block, replies: list[bytes], buckets: int) -> Iterator[tupl
     places, held = first[holder], np.add.reduceat(holder.astype(np.int64), start)
     bucket = (np.where(wide[start], same[start], h[start] * MIX[0] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
     offset = np.cumsum(held) - held
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)):
-        part = order[cut[b] : cut[b + 1]]
+    for b, part in dealt(bucket):
         at = start[part]
-        yield 1, int(b), pickle.dumps((rows[at].tobytes(), left[at].astype(np.uint8), right[at].astype(np.uint8), ids[at], held[part].astype(np.uint32), places[spread(offset[part], held[part])].astype(np.uint32)), 5)
+        yield 1, b, pickle.dumps((rows[at].tobytes(), left[at].astype(np.uint8), right[at].astype(np.uint8), ids[at], held[part].astype(np.uint32), narrow(places[spread(offset[part], held[part])])), 5)
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,10 +344,8 @@ def compare(blocks: list[int], blobs: list[bytes]) -> Iterator[tuple[int, bytes]
     times = held[entry]
     at = places[spread(offset[entry], times)] + np.repeat(step, times)
     block = np.repeat(owner[entry], times)
-    order = np.argsort(block, kind="stable")
-    cut = np.searchsorted(block[order], np.arange(len(blocks) + 1))
-    for i in np.flatnonzero(np.diff(cut)):
-        yield blocks[i], pickle.dumps(as_runs(at[order[cut[i] : cut[i + 1]]]), 5)
+    for i, part in dealt(block):
+        yield blocks[i], pickle.dumps(as_runs(at[part]), 5)
 
 
 def removed(block: Block, blobs: list[bytes]) -> np.ndarray:
