@@ -93,3 +93,18 @@ def footers(parsed: DataFrame, k: int = K) -> DataFrame:
     shown, whole = shown.alias("s"), whole.alias("w")
     same = (F.col("s.section") == F.col("w.section")) & F.col("s.status").eqNullSafe(F.col("w.status"))
     return shown.join(whole, same).select("w.section", "w.status", "shown", "total", "distinct_keys", percent("shown", "total").alias("pct"))
+
+
+def full_report(parsed: DataFrame, k: int = K) -> DataFrame:
+    """section, status, rank, key, n, pct, total, distinct_keys: all that a report prints.
+
+    One pass over the lines and one shuffle of the groups, which both sides of the join
+    reuse; the totals of lines, bytes and addresses are those of their sections.
+    """
+    groups = grouped_sections(parsed)
+    whole = groups.groupBy("section", "status").agg(F.sum("n").alias("total"), F.count("*").alias("distinct_keys"))
+    order = Window.partitionBy("section", "status").orderBy(F.desc("n"), F.desc("key"))
+    ranked = groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked, whole = ranked.alias("r"), whole.alias("w")
+    same = (F.col("r.section") == F.col("w.section")) & F.col("r.status").eqNullSafe(F.col("w.status"))
+    return ranked.join(whole, same).select("r.section", "r.status", "rank", "key", "n", percent("n", "total").alias("pct"), "total", "distinct_keys")

@@ -6,6 +6,8 @@ engine, and aggregate in plain SQL.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from lumenlog.functions.patterns import EXTENDED, FIELDS
 from lumenlog.operators import aggregate as A
 from lumenlog.operators.parse import attempt, parse, rejects
 from lumenlog.sources.events_log import DUCKDB, event_lines, line_sql
+from lumenlog.sources.lines import read_lines
 
 TOPS = {f"top_{section}": field for section, field in A.SECTIONS}
 
@@ -26,7 +29,19 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attempt(event_lines(spark, sf_dir).select(F.regexp_replace("value", '" 304 ', '" 3040 ').alias("value")), strict_status=True)
-    return rows.groupBy("accepted").agg(F.count("*").alias("n"))
+    return rows.select("value", "accepted", "status", "bytes").groupBy("value", "accepted", "status", "bytes").agg(F.count("*").alias("n"))
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines, written as text files to the session's shared folder and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlog-")
+    path = f"{folder}/lumenlog-{uuid.uuid4().hex}"
+    event_lines(spark, sf_dir).select("value").write.text(path, lineSep="\n")
+    return read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def _full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.full_report(_parsed(spark, sf_dir))
 
 
 def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +59,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parse_accepted": lambda s, d: _parsed(s, d).select(*FIELDS, "bytes"),
         "parse_rejects": lambda s, d: rejects(event_lines(s, d)).groupBy("value").agg(F.count("*").alias("n")),
         "parse_strict_status": _strict,
+        "scan_text": _scanned,
+        "full_report": _full,
         "extended_fields": _extended,
         "summary": lambda s, d: A.summary(_parsed(s, d)),
         "traffic_by_request": lambda s, d: A.traffic(_parsed(s, d)),
@@ -101,7 +118,9 @@ def oracle_sql() -> dict[str, str]:
     out = {
         "parse_accepted": f"{base} SELECT {', '.join(FIELDS)}, bytes FROM parsed",
         "parse_rejects": f"{base} SELECT value, count(*) AS n FROM judged WHERE NOT accepted GROUP BY value",
-        "parse_strict_status": f"{strict} SELECT accepted, count(*) AS n FROM judged GROUP BY accepted",
+        "parse_strict_status": f"{strict}, rows AS (SELECT value, accepted, CASE WHEN accepted THEN status END AS status, CASE WHEN accepted THEN bytes END AS bytes FROM judged) SELECT value, accepted, status, bytes, count(*) AS n FROM rows GROUP BY ALL",
+        "scan_text": f"{base} SELECT value, count(*) AS n FROM raw GROUP BY value",
+        "full_report": f"{base}{ranked} SELECT section, status, CAST(rk AS INTEGER) AS rank, key, n, CAST(n AS DOUBLE) * 100.0::DOUBLE / nullif(whole, 0)::DOUBLE AS pct, CAST(whole AS BIGINT) AS total, kinds AS distinct_keys FROM r WHERE rk <= {A.K}",
         "extended_fields": f"{longer} SELECT {', '.join(source[c] + ' AS ' + c for c in EXTENDED)}, count(*) AS n FROM parsed GROUP BY {', '.join(map(str, range(1, 10)))}",
         "summary": f"{base} SELECT count(*) AS total_lines, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS total_bytes, count(DISTINCT remote_addr) AS distinct_ips FROM parsed",
         "traffic_by_request": f"{base}, t AS (SELECT request_line AS key, CAST(sum(bytes) AS BIGINT) AS bytes FROM parsed GROUP BY request_line) {_top('t', 'bytes')}",

@@ -34,27 +34,29 @@ def fit(text: str, width: int) -> str:
 def render(parsed: DataFrame, width: int = 80, k: int = A.K, color: bool = True) -> Iterator[str]:
     """The report's lines."""
     blue, green, red, plain = (BLUE, GREEN, RED, PLAIN) if color else ("",) * 4
-    total = A.summary(parsed).first()
-    yield f"\n{blue}{total.total_lines}{plain} visits\n{green}{size(total.total_bytes)}{plain} sent\n{red}{total.distinct_ips}{plain} distinct addresses"
-    if not total.total_lines:
-        return
     rows: dict = {}
-    for r in A.report_long(parsed, k).collect():
+    for r in A.full_report(parsed, k).collect():  # k rows of each section, one pass over the lines
         rows.setdefault((r.section, r.status), []).append(r)
-    feet = {(r.section, r.status): r for r in A.footers(parsed, k).collect()}
+    of = {name: found[0] for (name, status), found in rows.items() if status is None}
+    lines, sent, addresses = (of["status"].total, of[A.TRAFFIC].total, of["remote_addr"].distinct_keys) if of else (0, 0, 0)
+    yield f"\n{blue}{lines}{plain} visits\n{green}{size(sent)}{plain} sent\n{red}{addresses}{plain} distinct addresses"
+    if not lines:
+        return
     wide = max(1, width - 16)
 
     def section(at: tuple, title: str, traffic: bool = False) -> Iterator[str]:
         text, number = (max(1, wide - 6), 12) if traffic else (wide, 6)
         show = size if traffic else str
         yield f"\n{blue}{title}{plain}"
-        foot = feet[at]
+        foot = rows[at][0]
         for r in sorted(rows[at], key=lambda r: r["rank"]):
             yield f"{fit(r.key, text)} {show(r.n):>{number}} {share(r.n, foot.total)}"
-        yield f"first {k} cover\n{fit(f'{show(foot.shown)}/{show(foot.total)}', text)} {foot.distinct_keys:>{number}} {share(foot.shown, foot.total)}\n"
+        shown = sum(r.n for r in rows[at])
+        yield f"first {k} cover\n{fit(f'{show(shown)}/{show(foot.total)}', text)} {foot.distinct_keys:>{number}} {share(shown, foot.total)}\n"
 
     for name, _ in A.SECTIONS:
         yield from section((name, None), TITLES[name])
     yield from section((A.TRAFFIC, None), TITLES[A.TRAFFIC], traffic=True)
-    for at in sorted((a for a in feet if a[0] == A.NON_200), key=lambda a: a[1]):
-        yield from section(at, f"Status {at[1]}: {feet[at].total} times, {share(feet[at].total, total.total_lines)}")
+    for at in sorted((a for a in rows if a[0] == A.NON_200), key=lambda a: a[1]):
+        times = rows[at][0].total
+        yield from section(at, f"Status {at[1]}: {times} times, {share(times, lines)}")

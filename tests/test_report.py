@@ -95,3 +95,25 @@ def test_streaming_counts(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r.key, r.n) for r in spark.table("counts").collect()} == {("GET /", 1), ("b", 1)}
+
+
+def test_full_report_holds_summary_and_footers(spark):
+    rows = frame(spark, [line(f"r{i % 7}", ["200", "404", "099", "999"][i % 4], str(i), f"1.2.3.{i % 5}") for i in range(200)]).cache()
+    got = {(r.section, r.status): [] for r in A.full_report(rows, 3).collect()}
+    for r in A.full_report(rows, 3).orderBy("rank").collect():
+        got[(r.section, r.status)].append(r)
+    total = A.summary(rows).first()
+    assert (got[("status", None)][0].total, got[(A.TRAFFIC, None)][0].total, got[("remote_addr", None)][0].distinct_keys) == tuple(total)
+    assert {(at, sum(r.n for r in x), x[0].total, x[0].distinct_keys) for at, x in got.items()} == {((r.section, r.status), r.shown, r.total, r.distinct_keys) for r in A.footers(rows, 3).collect()}
+
+
+def test_cli_writes_rejects_and_sets_splits(spark, tmp_path, capsys):
+    (tmp_path / "a.log").write_text(f"{line()}\nbad\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        assert cli.main([str(tmp_path / "a.log"), "--rejects", str(tmp_path / "out"), "--split-bytes", "65536"]) == 0
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "65536"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["bad"]
+    assert "bad" not in capsys.readouterr().err
