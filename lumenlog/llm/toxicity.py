@@ -58,7 +58,7 @@ class Setting(NamedTuple):
     again: bool
 
 
-SETTINGS = (Setting(9, 65_536, 24, 6, False), Setting(9, 65_536, 24, 6, True), Setting(19, 112_640, 24, 8, True))
+SETTINGS = (Setting(5, 65_536, 24, 6, False), Setting(5, 65_536, 24, 6, True), Setting(5, 65_536, 24, 6, False), Setting(19, 112_640, 24, 8, True))
 RATIOS = (0.7, 1.5, 2.5)
 #: Windows whose ratios a worker remembers.
 REMEMBERED = 1_000_000
