@@ -69,7 +69,11 @@ def signed(bits: int) -> Column:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b), a < b: the pairs of distinct fingerprints (column fp) within the radius."""
+    """(a, b), a < b: the pairs of distinct fingerprints (column fp) within the radius.
+
+    The join is by a shuffle whatever Spark expects: it takes exploded rows for no more
+    than those that they come of, and would broadcast many millions through the driver.
+    """
     width = BITS // segments
     masks = F.array(*[signed(m) for m in ball(width, radius // segments)])
     cut = lambda k: F.shiftrightunsigned("fp", k * width).bitwiseAND(signed((1 << width) - 1))
@@ -77,7 +81,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -
     table = distinct.select("fp", parts.alias("p")).select(F.col("fp").alias("b"), "p.seg", "p.key")
     probes = table.select(F.col("b").alias("a"), "seg", "key", F.explode(masks).alias("m")).select("a", "seg", F.col("key").bitwiseXOR(F.col("m")).alias("key"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
-    return probes.join(table, ["seg", "key"]).where(near).select("a", "b").distinct()
+    return probes.hint("merge").join(table.hint("merge"), ["seg", "key"]).where(near).select("a", "b").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:

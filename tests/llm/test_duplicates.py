@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenlog.llm import ann, fingerprints, minhash, simhash, suffix_dedup
@@ -60,6 +61,14 @@ def test_links_at_any_radius(spark, radius, segments):
     assert got == {(a, b) for a in prints for b in prints if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius}
 
 
+def test_links_are_not_broadcast(spark):
+    prints = spark.range(2000).select(F.xxhash64("id").alias("fp")).groupBy("fp").count().select("fp")
+    got = simhash.links(prints)
+    got.collect()  # so that the plan is the one that ran
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_chains_join(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101)]
     roots = dict(simhash.components(spark.createDataFrame(chain, "a long, b long")).collect())
