@@ -32,10 +32,15 @@ def _strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("value", "accepted", "status", "bytes").groupBy("value", "accepted", "status", "bytes").agg(F.count("*").alias("n"))
 
 
+def _path(spark: SparkSession) -> str:
+    """A new name in the session's shared folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlog-")
+    return f"{folder}/lumenlog-{uuid.uuid4().hex}"
+
+
 def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines, written as text files to the session's shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumenlog-")
-    path = f"{folder}/lumenlog-{uuid.uuid4().hex}"
+    path = _path(spark)
     event_lines(spark, sf_dir).select("value").write.text(path, lineSep="\n")
     return read_lines(spark, path).groupBy("value").agg(F.count("*").alias("n"))
 
@@ -49,8 +54,20 @@ def _extended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _human(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _parsed(spark, sf_dir).groupBy("request_line").agg((F.sum("bytes") * F.count("*")).alias("bytes"))
-    sizes = sums.select(F.explode(F.array(*[(F.col("bytes") * 1000**i + 7).alias("b") for i in range(4)])).alias("bytes")).distinct()
+    """Sizes made from the lines' bytes, and their texts.
+
+    Sizes are reckoned in decimals of 34 digits. Their column is a long, as in SQL, while all
+    fit one; else, where SQL fails for that, it is a decimal that holds every size.
+    """
+    total = F.sum(F.col("bytes").cast("decimal(19,0)")) * F.count("*").cast("decimal(19,0)")
+    sums = _parsed(spark, sf_dir).groupBy("request_line").agg(total.cast("decimal(34,0)").alias("bytes"))
+    made = F.array(*[(F.col("bytes") * F.lit(1000**i).cast("decimal(10,0)") + 7).cast("decimal(34,0)") for i in range(4)])
+    path = _path(spark)  # written once, as its largest size says its type
+    sums.select(F.explode(made).alias("bytes")).distinct().write.parquet(path)
+    sizes = spark.read.parquet(path)
+    most = sizes.agg(F.max("bytes")).first()[0]
+    if most is None or most < 1 << 63:
+        sizes = sizes.select(F.col("bytes").cast("long").alias("bytes"))
     return sizes.select("bytes", human_bytes(F.col("bytes")).alias("text"))
 
 

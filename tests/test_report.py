@@ -3,6 +3,7 @@
 import gzip
 import io
 import sys
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from lumenlog import cli
 from lumenlog.functions.numbers import human_bytes
 from lumenlog.operators import aggregate as A
 from lumenlog.operators.parse import parse
+from lumenlog.plans.queries import queries
 from lumenlog.plans.report import render, share, size
+from lumenlog.sources.events_log import event_lines
 from lumenlog.sources.lines import read_lines, write_rejects
 from lumenlog.streaming.counts import read_stream, windowed_counts
 
@@ -117,3 +120,17 @@ def test_cli_writes_rejects_and_sets_splits(spark, tmp_path, capsys):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["bad"]
     assert "bad" not in capsys.readouterr().err
+
+
+def test_sizes_beyond_a_long(spark):
+    """sf0.1 has some, at which the query failed."""
+    sf, unit = "/root/testdata/sf0.1", ("KB", "MB", "GB", "TB", "PB", "EB")
+    sums = parse(event_lines(spark, sf)).groupBy("request_line").agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).collect()
+    want = {}
+    for b in {r.b * r.n * 1000**i + 7 for r in sums for i in range(4)}:
+        i = max((i for i in range(1, 7) if b >= 1024**i), default=0)
+        cents = round(Fraction(100 * b, 1024**i))  # ties to even
+        want[b] = f"{cents // 100}.{cents % 100:02d} {unit[i - 1]}" if i else f"{b} B"
+    got = queries()["human_bytes"](spark, sf)
+    assert {int(r.bytes): r.text for r in got.collect()} == want and got.count() == len(want) and max(want) > 2**63
+    assert dict(queries()["human_bytes"](spark, "/root/testdata/sf0.01").dtypes)["bytes"] == "bigint"
