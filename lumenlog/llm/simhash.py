@@ -105,15 +105,19 @@ def components(pairs: DataFrame) -> DataFrame:
         state = now
 
 
+def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of distinct fingerprints (fp and others), and root: the least fingerprint that links reach."""
+    roots = components(links(distinct, radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): the least doc_id that links reach from each row."""
     fps = settle(fingerprints(docs))
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct, radius))
     # few nodes have links: only they are regrouped
-    linked = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = linked.join(least, "root").select("fp", "component_id")
+    groups = linked(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), radius)
+    least = groups.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = groups.join(least, "root").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -116,6 +116,19 @@ def test_every_near_pair_of_a_table_is_found(spark):
     assert near and all(found[a] == found[b] for a, b in near)
 
 
+def test_stage_links_by_simhash_with_an_exact_check(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "bands", lambda own: [])  # nothing but SimHash proposes
+    rng = np.random.RandomState(2)
+    words = [f"w{i}" for i in rng.randint(0, 500, 300)]
+    most = "a " * 2000  # of whose one shingle the bits are, whatever follows
+    rows = [(0, " ".join(words)), (1, " ".join([*words, *"uvwxy"])), (2, " ".join(words[150:])), (3, most + "one two three four five"), (4, most + "six seven eight nine ten")]
+    bits = [simhash.fingerprint(t) & (2**64 - 1) for _, t in rows]
+    like = lambda i, j: minhash.similar(minhash.shingles(rows[i][1]).tobytes(), minhash.shingles(rows[j][1]).tobytes())
+    assert 0 < (bits[0] ^ bits[1]).bit_count() <= 3 and like(0, 1) and (bits[3] ^ bits[4]).bit_count() <= 3 and not like(3, 4)
+    kept = corpus_pipeline.distinct_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {0, 2, 3, 4}
+
+
 def test_one_of_each_of_shared_shingles(edge, nothing):
     near = lambda docs: simhash.one_of_each(docs, near=minhash.near_duplicates, key=minhash.key)
     kept = near(edge)
