@@ -4,7 +4,8 @@ Each text's 3-word shingles are hashed with XXH64 and vote on 64 bits. A fingerp
 cut into two segments of 32 bits; two fingerprints within three bits agree in one of them
 but for one bit, so every fingerprint looks up the 33 values of the ball around each of
 its segments and full distances are verified. Links are between distinct fingerprints
-only (copies share one row), and components spread by star contraction over checkpoints.
+only (copies share one row). One task joins up to ``FEW`` links; more components spread by
+star contraction over checkpoints.
 
 Defined results: null or wordless texts have fingerprint zero and link like any other;
 null ids take part and never name a component unless all its ids are null; repeated rows
@@ -14,7 +15,7 @@ stay repeated; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -30,6 +31,8 @@ WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Shingles that are hashed at once; bounds memory on very long texts.
 STEP = 1 << 16
+#: Links whose components one task finds at most, in some 110 MB; more are contracted by shuffles.
+FEW = 1 << 20
 
 
 def fingerprint(text: str | None) -> int:
@@ -84,13 +87,37 @@ def links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -
     return probes.hint("merge").join(table.hint("merge"), ["seg", "key"]).where(near).select("a", "b").distinct()
 
 
+def joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root): each node of all the links (u, v) but those that are the least they reach."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    nodes, places = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *ends], axis=1), return_inverse=True)
+    u, v = places.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while len(u):
+        low = np.minimum(u, v)
+        np.minimum.at(root, u, low)
+        np.minimum.at(root, v, low)
+        while (root[root] != root).any():
+            root = root[root]
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    node = np.flatnonzero(root != np.arange(len(nodes)))
+    for lo in range(0, len(node), STEP):
+        part = node[lo : lo + STEP]
+        yield pa.RecordBatch.from_pydict({"node": nodes[part], "root": nodes[root[part]]})
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): each node of the links (a, b) and the least node it reaches.
 
-    Alternates large-star and small-star; the links of a round are checkpointed, and
-    rounds end when a round changes nothing.
+    One task joins up to ``FEW`` links: rounds of shuffles over as many partitions as the
+    session has cost more than such links. More alternate large-star and small-star; the
+    links of a round are checkpointed, and rounds end when a round changes nothing.
     """
-    edges = settle(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
+    most = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = settle(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).coalesce(most))
+    if edges.count() <= FEW:
+        return settle(edges.coalesce(1).mapInArrow(joined_up, "node long, root long"))
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

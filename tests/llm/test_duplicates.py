@@ -75,6 +75,23 @@ def test_chains_join(spark):
     assert roots == {i: 0 for i in range(1, 41)} | {101: 100}
 
 
+@pytest.mark.parametrize("few", [simhash.FEW, 0])
+def test_few_links_join_in_one_task(spark, monkeypatch, few):
+    rng, group = np.random.RandomState(4), {}
+    rows = [(int(a), int(b)) for a, b in np.sort(rng.randint(-(2**62), 2**62, 300)[rng.randint(0, 300, (220, 2))]) if a < b]
+    rows += [*rows[:9], *zip(range(0, 60, 2), range(1, 60, 2)), *zip(range(1, 59, 2), range(60, 2, -2))]
+    for a, b in rows:
+        low, high = sorted((group.setdefault(a, a), group.setdefault(b, b)))
+        group = {x: low if g == high else g for x, g in group.items()}
+    monkeypatch.setattr(simhash, "FEW", few)
+    spark.sparkContext.setJobGroup(f"few {few}", "")
+    got = simhash.components(spark.createDataFrame([(min(x), max(x)) for x in rows], "a long, b long"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few {few}"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, g) for x, g in group.items() if x != g)
+    assert (jobs <= 5) == (few > 0)
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_one_of_each(edge, nothing):
     kept = simhash.one_of_each(edge)
     assert kept.columns == edge.columns
